@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, token_counts
+from . import decontaminate, language_id, line_dedup, mixing, token_counts
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1,
         "op2_language_id": language_id.op2,
+        "op5_mixing": mixing.op5,
+        "op6_decontamination": decontaminate.op6,
         "op8_token_counts": token_counts.op8,
     }
 
