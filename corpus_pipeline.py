@@ -1,6 +1,63 @@
-STAGES = []
+"""A training-corpus pipeline: each stage works on what the one before it kept.
+
+A stage takes (spark, docs, sf_dir); all but the last return the columns of
+``documents``. Between stages the rows are written to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from marginalia.llm import decontaminate, language_id, line_dedup, mixing, ngram_join
+from marginalia.llm.common import materialize, table
+
+#: Posterior probability under which a language is no decision.
+LEAST_SCORE = 0.5
+
+
+def language(spark, docs, sf_dir):
+    """Documents without a letter, or of no clear language, go."""
+    model = language_id.fit(docs)
+    cols = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    out = language_id.predict(docs, model, cols).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def lines(spark, docs, sf_dir):
+    """Lines found in ten documents or more stay in the first of them only.
+    Documents of which nothing but white space is left go."""
+    out = line_dedup.dedup_lines(docs, min_docs=10, keep="first").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of n-gram Jaccard links stays."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark(spark, docs, sf_dir):
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark, docs, sf_dir):
+    """How often each document goes into the mix."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", benchmark),
+    ("mixing", mixture),
+]
+#: Naive Bayes and the shuffle's hash have no counterpart in SQL; a brute-force test stands in.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, token_counts
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, token_counts
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1,
         "op2_language_id": language_id.op2,
+        "op4_ngram_jaccard_join": ngram_join.op4,
         "op5_mixing": mixing.op5,
         "op6_decontamination": decontaminate.op6,
         "op8_token_counts": token_counts.op8,
