@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, token_counts
+from . import decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, token_counts
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_ngram_jaccard_join": ngram_join.op4,
         "op5_mixing": mixing.op5,
         "op6_decontamination": decontaminate.op6,
+        "op7_lm_scoring": lm_score.op7,
         "op8_token_counts": token_counts.op8,
     }
 
