@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, lm_score, mixing, ngram_join, token_counts
+from . import decontaminate, html_text, language_id, line_dedup, lm_score, mixing, ngram_join, token_counts
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_decontamination": decontaminate.op6,
         "op7_lm_scoring": lm_score.op7,
         "op8_token_counts": token_counts.op8,
+        "op9_html_extraction": html_text.op9,
     }
 
 
