@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, line_dedup, lm_score, mixing, ngram_join, token_counts
+from . import curve_search, decontaminate, html_text, language_id, line_dedup, lm_score, mixing, ngram_join, token_counts
 
 
 def queries():
     return {
         "op1_line_dedup": line_dedup.op1,
         "op2_language_id": language_id.op2,
+        "op3_nearest_neighbours": curve_search.op3,
         "op4_ngram_jaccard_join": ngram_join.op4,
         "op5_mixing": mixing.op5,
         "op6_decontamination": decontaminate.op6,
