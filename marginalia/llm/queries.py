@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curve_search, decontaminate, html_text, language_id, line_dedup, lm_score, mixing, ngram_join, token_counts
+from . import curve_search, decontaminate, html_text, language_id, line_dedup, lm_score, mixing, ngram_join, quality, token_counts
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_lm_scoring": lm_score.op7,
         "op8_token_counts": token_counts.op8,
         "op9_html_extraction": html_text.op9,
+        "op10_quality": quality.op10,
     }
 
 
