@@ -185,7 +185,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, prior: float =
     packs = materialize(plain.mapInArrow(_packs, _PACK))
     words = packs.agg(F.sum(F.length("ids") / 4)).collect()[0][0] or 0
     shards = max(parts(docs.sparkSession), int(words // SHARD) + 1)
-    asked = packs.repartition(parts(docs.sparkSession), "pack").mapInArrow(_ask(shards), _ASK)
+    asked = packs.mapInArrow(_ask(shards), _ASK)
     said = materialize(asked.groupBy("shard", "kind").applyInArrow(_say, _SAY))
     types, tokens = said.where("kind = 0").agg(F.sum("types"), F.sum("tokens")).collect()[0]
     types, tokens = types or 0, tokens or 0
