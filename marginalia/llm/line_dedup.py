@@ -54,7 +54,7 @@ def _keys(min_chars: int):
 
 
 def _decide(min_docs: int, keep_first: bool):
-    """Marks of one sorted batch. ``drop``: decided. ``open``: an occurrence of an
+    """Marks of one sorted batch. ``drop``: decided. ``head``: decided, the first place stays. ``open``: an occurrence of an
     edge key that is still undecided. ``sum``: how many documents of the edge key
     this batch saw, with the first of them."""
 
@@ -78,8 +78,9 @@ def _decide(min_docs: int, keep_first: bool):
             # At an edge the first occurrence stays open, as does all of a run that is too short by itself.
             left = edge[run_of] & (~full[run_of] | first)
             sums = start[edge]
+            heads = np.flatnonzero(full[run_of] & first & ~edge[run_of]) if keep_first else sums[:0]
             out = []
-            for kind, rows in (("drop", np.flatnonzero(drop)), ("open", np.flatnonzero(left)), ("sum", sums)):
+            for kind, rows in (("drop", np.flatnonzero(drop)), ("head", heads), ("open", np.flatnonzero(left)), ("sum", sums)):
                 if len(rows):
                     part = batch.take(pa.array(rows))
                     n = length[edge] if kind == "sum" else np.ones(len(rows), np.int64)
@@ -127,10 +128,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     who = F.struct("doc_id", "text_hash", "first")
     settled = marks.where("kind = 'sum'").groupBy("k1", "k2").agg(F.sum("n").alias("total"), F.min(who).alias("head")).where(F.col("total") >= min_docs)
     late = marks.where("kind = 'open'").join(settled, ["k1", "k2"])
-    if keep == "first":
-        late = late.where(~who.eqNullSafe(F.col("head")))
     cols = ["doc_id", "text_hash", "n_lines", "places"]
-    drops = marks.where("kind = 'drop'").select(cols).union(late.select(cols))
+    rest = F.expr("substring(places, 5)").alias("places")  # a place has four bytes
+    if keep == "first":
+        late = late.withColumn("places", F.when(who.eqNullSafe(F.col("head")), rest).otherwise(F.col("places")))
+    heads = marks.where("kind = 'head'").select(*cols[:3], rest)
+    drops = marks.where("kind = 'drop'").select(cols).union(heads).union(late.select(cols)).where(F.length("places") > 0)
     grouped = drops.groupBy("doc_id", "text_hash", "n_lines").agg(F.collect_list("places").alias("places"))
     return grouped.mapInArrow(_bitmaps, "doc_id long, text_hash long, n_lines int, keep_bitmap binary")
 
