@@ -92,9 +92,10 @@ def mix(docs: DataFrame, weights=None, share: float = 1.0, times: int = 3, seed:
     finish = (F.col("turn") * F.col("source_size") + F.col("_sum")) / F.col("target")
     served = queue.where("size > 0 AND target > 0").select("_sum", "source_size", "target", "size", turn).select(finish.alias("finish"), "size").where("finish < 1.5")
     line = _running(spread_rank(served, ["finish", "size"]), "size", [])
-    cut = line.where(F.col("_sum") <= budget).agg(F.max("finish")).collect()[0][0]
-    cut = -1.0 if cut is None else cut
-    passes = sum((F.when((F.lit(t) * F.col("source_size") + F.col("_sum")) / F.col("target") <= F.lit(cut), 1).otherwise(0) for t in range(times)), F.lit(0))
+    # Who would finish when the budget is passed, or later, is not served; equal times share their fate.
+    over = line.where(F.col("_sum") > budget).agg(F.min("finish")).collect()[0][0]
+    over = float("inf") if over is None else over
+    passes = sum((F.when((F.lit(t) * F.col("source_size") + F.col("_sum")) / F.col("target") < F.lit(over), 1).otherwise(0) for t in range(times)), F.lit(0))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * passes).otherwise(F.lit(0)).cast("long")
     return queue.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
