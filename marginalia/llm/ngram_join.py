@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from .common import CACHE_ENTRIES, materialize, parts, raw, table
 
 #: Part of a set's size that its prefix is longer than the shortest that is exact.
-EXTRA = 0.05
+EXTRA = 0.15
 #: Bits of a token bitmap, children of a tree node, members of a block that one task takes at once.
 BITS, FAN, BLOCK = 4096, 8, 2048
+#: A table of set names and ids is broadcast if it has no more rows.
+BROADCAST_ROWS = 500_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,27 +70,43 @@ def _extra(n: int) -> int:
 def _signatures(width: int, percent: int):
     def run(batches):
         shingles = Shingler(width)
+        seen: set[int] = set()
         for batch in batches:
-            n, sid, prefix = [], [], []
+            n, sid, prefix, cut = [], [], [], []
             for text in raw(batch["text"]):
                 s = shingles(text)
                 n.append(len(s))
-                sid.append(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64).item())
-                prefix.append(s[: len(s) - _least(len(s), percent) + _extra(len(s))] if len(s) else s)
+                sid.append(_name(s))
+                if len(seen) > CACHE_ENTRIES:
+                    seen.clear()
+                again = sid[-1] in seen
+                seen.add(sid[-1])
+                short = len(s) - _least(len(s), percent)
+                prefix.append(s[:0] if again else s[: short + _extra(len(s))])
+                cut.append(s[short].item() if len(s) else None)
             sizes = np.cumsum([0, *map(len, prefix)])
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), lists], names=["doc_id", "n", "sid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(cut, pa.int64()), lists], names=["doc_id", "n", "sid", "cut", "prefix"])
 
     return run
 
 
+def _name(s: np.ndarray) -> int:
+    """What a set goes by."""
+    return np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64).item()
+
+
 def _full(width: int):
+    """Members of the sets that were asked for; of texts that only share an id, nothing comes."""
+
     def run(batches):
         shingles = Shingler(width)
         for batch in batches:
-            sets = [shingles(t).tobytes() for t in raw(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["sid"], pa.array(sets, pa.binary())], names=["sid", "members"])
+            sets = [shingles(t) for t in raw(batch["text"])]
+            own = [_name(x) == sid for x, sid in zip(sets, batch["sid"].to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch["sid"], pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "members"])
+            yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -165,33 +183,52 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(more, at)))
 
 
+def _children(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the children of node pairs, each once; `size`: nodes of the lower level."""
+    step = np.arange(FAN)
+    p, q = np.broadcast_arrays(i[:, None, None] * FAN + step[:, None], j[:, None, None] * FAN + step)
+    p, q = p.ravel(), q.ravel()
+    inside = (p <= q) & (q < size)
+    return p[inside], q[inside]
+
+
 def dual_traversal(bits: np.ndarray, n: np.ndarray, percent: int, skip=None) -> np.ndarray:
     """Index pairs i < j of members whose greatest possible overlap reaches the
-    threshold. `skip(i, j)` tells of leaf pairs that are not wanted."""
+    threshold. `skip(i, j)` tells of leaf pairs that are not wanted. Node pairs wait
+    on a stack in bundles, so that few are open at once."""
     tree = Tree(bits, n)
-    i = j = np.zeros(1, np.int64)
-    for level in range(len(tree.levels) - 1, -1, -1):
+    found = [np.zeros((0, 2), np.int64)]
+    stack = [(len(tree.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        if level < 0:  # pairs that were found wide enough before
+            level = ~level
+            if len(i) > 64:
+                stack.append((~level, i[64:], j[64:]))
+            stack.append((level - 1, *_children(i[:64], j[:64], len(tree.levels[level - 1][1]))))
+            continue
         b, lo, hi, more = tree.levels[level]
-        if level < len(tree.levels) - 1:
-            step = np.arange(FAN)
-            i, j = (np.repeat(i, FAN * FAN) * FAN + np.tile(np.repeat(step, FAN), len(i))), (np.repeat(j, FAN * FAN) * FAN + np.tile(np.tile(step, FAN), len(j)))
-            inside = (i <= j) & (i < len(lo)) & (j < len(lo))
-            i, j = i[inside], j[inside]
-        fits = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i])
-        i, j = i[fits], j[fits]
+        keep = (100 * hi[i] >= percent * lo[j]) & (100 * hi[j] >= percent * lo[i])
         if level == 0:
-            apart = i < j
+            keep &= i < j
             if skip is not None:
-                apart &= ~skip(i, j)
-            i, j = i[apart], j[apart]
-        keep = [np.zeros(0, bool)]
-        for at in range(0, len(i), 1 << 14):
-            p, q = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            most = _pop(b[p] & b[q]) + np.minimum(more[p], more[q])
-            keep.append((100 + percent) * np.minimum(most, np.minimum(hi[p], hi[q])) >= percent * (lo[p] + lo[q]))
-        keep = np.concatenate(keep)
+                keep &= ~skip(i, j)
+        i, j = i[keep], j[keep]
+        both = b[i] & b[j]
+        most = _pop(both) + np.minimum(more[i], more[j])
+        if level == 0:  # tokens of either side whose bit the other side lacks are not common
+            most = np.minimum(most, np.minimum(n[i] - _pop(b[i] & ~both), n[j] - _pop(b[j] & ~both)))
+        keep = (100 + percent) * np.minimum(most, np.minimum(hi[i], hi[j])) >= percent * (lo[i] + lo[j])
         i, j = i[keep], j[keep]
-    return np.stack((i, j), 1)
+        if level == 0:
+            found.append(np.stack((i, j), 1))
+            continue
+        # Children of the first bundle go on; the rest of the node pairs waits as it is.
+        if len(i) > 64:
+            stack.append((~level, i[64:], j[64:]))
+            i, j = i[:64], j[:64]
+        stack.append((level - 1, *_children(i, j, len(tree.levels[level - 1][1]))))
+    return np.concatenate(found)
 
 
 def _blocks(percent: int):
@@ -202,8 +239,18 @@ def _blocks(percent: int):
         sid, n, comp = (t[c].to_numpy() for c in ("sid", "n", "comp"))
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(len(sid), BITS // 64)
         order = np.lexsort((n, *(bits[:, k] for k in range(4))))
-        sid, n, comp, bits = sid[order], n[order], comp[order], bits[order]
-        ij = dual_traversal(bits, n, percent, lambda i, j: comp[i] == comp[j])
+        sid, n, comp, bits, part = sid[order], n[order], comp[order], bits[order], t["part"].to_numpy()[order]
+        across = t["i"][0].as_py() != t["j"][0].as_py()
+        ij = dual_traversal(bits, n, percent, lambda i, j: (comp[i] == comp[j]) | (across & (part[i] == part[j])))
+        # A pair that meets in several blocks belongs to that of the least hash.
+        lead, token = [np.array(x, np.int64) for x in t["lead"].to_pylist()], t["token"][0].as_py()
+        first = token == np.array([x[0] for x in lead])[order]
+        mine = first[ij[:, 0]] | first[ij[:, 1]]  # the least of either side is the least of both
+        for k in np.flatnonzero(~mine):
+            x, y = lead[order[ij[k, 0]]], lead[order[ij[k, 1]]]
+            x, y = x[x <= token], y[y <= token]
+            mine[k] = len(np.intersect1d(x, y, True)) == 1
+        ij = ij[mine]
         a, b = sid[ij[:, 0]], sid[ij[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -240,41 +287,45 @@ def links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame
     every pair. Hashes have 64 bits. Null texts are empty; repeated rows are copies.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = materialize(plain.mapInArrow(_signatures(width, percent), "doc_id long, n long, sid long, prefix array<long>"))
+    sigs = materialize(plain.mapInArrow(_signatures(width, percent), "doc_id long, n long, sid long, cut long, prefix array<long>"))
     classes = sigs.select("doc_id", "n", "sid")
-    reps = classes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    rep = reps.select(F.col("sid").alias("_sid"), "rep")
-    one = sigs.where("n > 0").join(rep, (F.col("sid") == F.col("_sid")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    tokens = one.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # `cut` is the last hash of a set's shorter prefix; `times`, how often its prefix is in the table.
+    reps = sigs.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("cut").alias("cut"), F.sum((F.size("prefix") > 0).cast("int")).alias("times"))
+    tokens = sigs.select("sid", F.explode("prefix").alias("token"))
     common = tokens.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
     shared = materialize(tokens.join(common, "token", "left_semi"))
     must = F.greatest(F.lit(1), F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) * EXTRA))
-    alive = materialize(shared.groupBy("sid", "n").agg(F.count("*").alias("k")).where(F.col("k") >= must).select("sid"))
-    short = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    block = shared.where(F.col("pos") < short).join(alive, "sid", "left_semi").select("token", "sid", "n")
-    of = alive.join(reps, "sid").select("sid", "rep")
+    alive = shared.groupBy("sid").agg(F.count("*").alias("k")).join(reps, "sid").withColumn("k", F.col("k") / F.col("times")).drop("times")
+    alive = materialize(alive.where(F.col("k") >= must))
+    # The member of whose prefix the most is common is the likeliest to be near all others.
+    block = shared.join(alive.drop("rep"), "sid").where("token <= cut").select("token", "sid", "n", (F.col("k") / F.col("n")).alias("weight")).distinct()
+    of = alive.select("sid", "rep")
+    if alive.count() <= BROADCAST_ROWS:  # beyond it the texts are shuffled
+        of = F.broadcast(of)
     texts = plain.join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
     full = materialize(texts.mapInArrow(_full(width), "sid long, members binary").dropDuplicates(["sid"]))
 
-    pivot = block.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    block = materialize(block.join(pivot, "token"))
-    near = block.where(F.col("sid") != F.col("p.sid")).where((100 * F.col("n") >= percent * F.col("p.n")) & (100 * F.col("p.n") >= percent * F.col("n")))
-    pairs = near.select(F.col("p.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    pivot = block.groupBy("token").agg(F.max(F.struct("weight", "sid", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+    block = materialize(block.join(pivot, "token").select("token", "sid", "n", "size", F.col("p.sid").alias("p_sid"), F.col("p.n").alias("p_n")))
+    near = block.where("sid <> p_sid").where((100 * F.col("n") >= percent * F.col("p_n")) & (100 * F.col("p_n") >= percent * F.col("n")))
+    pairs = near.select(F.col("p_sid").alias("a"), F.col("sid").alias("b")).distinct()
     first = materialize(_verify(pairs, full, percent))
 
     comp = components(first).withColumnRenamed("v", "_v")
     placed = block.join(comp, F.col("sid") == F.col("_v"), "left").select("token", "sid", "n", "size", F.coalesce("root", "sid").alias("comp"))
     placed = materialize(placed)
-    # Of blocks with the same members, one is enough.
+    # Of blocks with the same members, that of the least hash is enough.
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.hash("sid")).alias("y")).where("lo <> hi")
     mixed = mixed.groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
     maps = full.mapInArrow(_with_bitmaps, "sid long, bits binary")
     # A block of more than BLOCK members is cut into parts; each pair of parts is a task's work.
     cuts = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sid"), cuts).cast("int")
-    ways = F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))).alias("ij")
-    rows = placed.join(mixed, "token", "left_semi").select("token", "sid", "n", "comp", ways).select("token", "ij.*", "sid", "n", "comp").join(maps, "sid")
-    rows = rows.select("token", "i", "j", "sid", "n", "comp", "bits").repartition(parts(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    ways = F.explode(F.transform(F.sequence(F.lit(0), cuts - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), mine.alias("part")))).alias("ij")
+    blocks = materialize(placed.join(mixed, "token", "left_semi"))
+    lead = blocks.groupBy("sid").agg(F.array_sort(F.collect_list("token")).alias("lead"))
+    rows = blocks.select("token", "sid", "n", "comp", ways).select("token", "ij.*", "sid", "n", "comp").join(maps.join(lead, "sid"), "sid")
+    rows = rows.select("token", "i", "j", "part", "sid", "n", "comp", "bits", "lead").repartition(parts(docs.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
     more = rows.mapInArrow(_blocks(percent), "a long, b long").distinct()
     second = _verify(more, full, percent)
     return classes, materialize(first.union(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
