@@ -87,13 +87,14 @@ def mix(docs: DataFrame, weights=None, share: float = 1.0, times: int = 3, seed:
     queue = spread_rank(sized, ["source", "_h", "doc_id", "size"])
     queue = _running(queue, "size", ["source"]).join(F.broadcast(of), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_part", "_at")
     queue = materialize(queue)
-    # Only passes that can finish by time 1, and one more of each document for the cut to fall on.
+    # Every pass is ranked: when documents are large against their target, the cut may fall at any time.
     turn = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn")
     finish = (F.col("turn") * F.col("source_size") + F.col("_sum")) / F.col("target")
-    served = queue.where("size > 0 AND target > 0").select("_sum", "source_size", "target", "size", turn).select(finish.alias("finish"), "size").where("finish < 1.5")
+    served = queue.where("size > 0 AND target > 0").select("_sum", "source_size", "target", "size", turn).select(finish.alias("finish"), "size")
     line = _running(spread_rank(served, ["finish", "size"]), "size", [])
     # Who would finish when the budget is passed, or later, is not served; equal times share their fate.
     over = line.where(F.col("_sum") > budget).agg(F.min("finish")).collect()[0][0]
+    # None: all passes together stay within the budget, and all are served.
     over = float("inf") if over is None else over
     passes = sum((F.when((F.lit(t) * F.col("source_size") + F.col("_sum")) / F.col("target") < F.lit(over), 1).otherwise(0) for t in range(times)), F.lit(0))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * passes).otherwise(F.lit(0)).cast("long")

@@ -196,6 +196,38 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.where("false")).collect() == []
 
 
+def plain_mix(docs, budget, goal, times=3):
+    """Words taken of each (source, size), one document a source or all of one size: passes in order of finish."""
+    total, at, passes = Counter(), defaultdict(int), []
+    for s, n in docs:
+        total[s] += n
+    for s, n in docs:
+        at[s] += n
+        passes += [((t * total[s] + at[s]) / goal[s], n, s) for t in range(times)]
+    used, over = 0, float("inf")
+    for finish, n, _ in sorted(passes):
+        used += n
+        if used > budget:
+            over = finish
+            break
+    taken = Counter()
+    for finish, n, s in passes:
+        taken[s] += n * (finish < over)
+    return taken
+
+
+@pytest.mark.parametrize("docs", [[("a", 100)], [("a", 60000), *[("b", 300)] * 100], [(f"s{k:03}", 50 + k % 60) for k in range(300)]], ids=["one", "large", "singles"])
+def test_mixing_large_documents_stay_in_budget(spark, docs):
+    df = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(docs)], "doc_id long, source string, text string")
+    rows = mixing.mix(df).collect()
+    budget, goal = sum(n for _, n in docs), {r["source"]: r["target"] for r in rows}
+    got = Counter()
+    for r in rows:
+        got[r["source"]] += r["taken"]
+    assert sum(got.values()) <= budget
+    assert got == plain_mix(docs, budget, goal)
+
+
 # Decontamination
 
 
