@@ -277,6 +277,20 @@ def test_decontamination_against_brute_force(spark, duck, texts):
     assert got == want
 
 
+def found_in(spark, item, *texts):
+    """Places of the texts that hold the item."""
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r["doc_id"] for r in decontaminate.matches(h.documents(spark, enumerate(texts)), bench).collect()}
+
+
+def test_decontamination_needs_one_run(spark):
+    item = "we came home at the end of the long day the lamps were lit and supper stood ready on the old oak table"
+    phrase = "at the end of the long day the"
+    apart = f"he slept {phrase} whole night and then {phrase} other men went off to sea"
+    broken = item.replace("lamps were lit", "dogs barked loud")  # 10 and 10 words at one offset
+    assert found_in(spark, item, apart, broken, f"so {item}") == {2}
+
+
 # LM scoring
 
 
