@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders that keep their value beside
-them. Windows of the template are hashed and joined with the benchmark's. The first
+them. Windows of the template and of the plain words are hashed and joined with the benchmark's. The first
 pass takes a document's windows at every fifth word only: with the benchmark's at every word, a
 shared run of WIDTH + STRIDE - 1 words still meets one. Documents found so are
 joined at every word, and at each offset so found item and document are compared word by word.
@@ -51,7 +51,9 @@ def _value(word: Column) -> Column:
 
 
 def _streams(words: Column) -> Column:
-    return F.array(_template(words))
+    """The template and, where it has placeholders, the plain words, whose case says nothing."""
+    marked = F.exists(words, lambda w: w < F.lit(_INNER))
+    return F.when(marked, F.array(_template(words), F.transform(words, _value))).otherwise(F.array(words))
 
 
 def _hashes(words: Column, width: int, stride: int, counted: bool = False) -> Column:
@@ -72,8 +74,9 @@ def _literal(words: Column) -> Column:
 
 
 def _items(benchmark: DataFrame, item: str) -> DataFrame:
-    """item_id, item_hash, words, n_words, width, and `lead`, the first word."""
-    items = benchmark.where("text IS NOT NULL").select(F.col(item).alias("item_id"), F.xxhash64("text").alias("item_hash"), tokens(F.col("text")).alias("words")).withColumn("lead", F.get("words", F.lit(0)))
+    """item_id, item_hash, words, n_words, width, and `lead`: the first word as it is after a word of lower case."""
+    after = F.concat(F.lit("a "), F.regexp_replace("text", r"^[^\p{L}\p{N}]+", ""))
+    items = benchmark.where("text IS NOT NULL").select(F.col(item).alias("item_id"), F.xxhash64("text").alias("item_hash"), tokens(F.col("text")).alias("words"), F.get(tokens(after), F.lit(1)).alias("lead"))
     width = F.when(F.size("words") >= WIDTH + STRIDE - 1, WIDTH).otherwise(SHORT_WIDTH)
     return items.distinct().withColumns({"n_words": F.size("words"), "width": width}).where(F.col("n_words") >= SHORT_WIDTH)
 

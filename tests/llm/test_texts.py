@@ -291,6 +291,15 @@ def test_decontamination_needs_one_run(spark):
     assert found_in(spark, item, apart, broken, f"so {item}") == {2}
 
 
+def test_decontamination_case_and_first_word(spark):
+    item = "yesterday Anna met Ben and Carl near the river while Dora stayed at home to read a long book about old ships at sea"
+    assert found_in(spark, item, item.lower(), item.upper(), item.title()) == {0, 1, 2}
+    first = "Name the largest river that crosses the old capital of that far land"
+    assert found_in(spark, first, f"he then asked {first}", f"he asked, {first.lower()}") == {0, 1}
+    named = "Anna has 12 red apples and eats some of them at noon today"
+    assert found_in(spark, named, "once Maria has 15 red apples and eats some of them at noon today") == {0}
+
+
 # LM scoring
 
 
