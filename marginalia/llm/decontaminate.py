@@ -82,13 +82,19 @@ def _items(benchmark: DataFrame, item: str) -> DataFrame:
 
 
 def _benchmark(items: DataFrame) -> DataFrame:
-    """A row for each window of LITERAL literal words: item_id, item_hash, n_words, width, i_at, h."""
+    """A row for each window: item_id, item_hash, n_words, width, i_at, h, deep.
+
+    Any window of an item can be the one at a document's fifth word, so the first pass
+    takes them all. Only `deep` ones pair places with places: of RUN words with LITERAL
+    literal ones, or of such a short item, one window has half of LITERAL at least.
+    """
     out = None
     led = F.concat(F.array("lead"), F.slice("words", F.lit(2), F.size("words")))
     for width in (WIDTH, SHORT_WIDTH):
         both = F.concat(_hashes(F.col("words"), width, 1, True), F.slice(_hashes(led, width, 1, True), 1, 1))
         w = items.where(F.col("width") == width).select("item_id", "item_hash", "n_words", "width", F.explode(both).alias("w"))
-        w = w.where(F.col("w.n") >= LITERAL).select("item_id", "item_hash", "n_words", "width", F.col("w.at").alias("i_at"), F.col("w.h").alias("h")).distinct()
+        w = w.select("item_id", "item_hash", "n_words", "width", F.col("w.at").alias("i_at"), F.col("w.h").alias("h"), (F.col("w.n") >= LITERAL // 2).alias("deep")).distinct()
+        w = w if width == WIDTH else w.where("deep")
         out = w if out is None else out.union(w)
     return out
 
@@ -140,8 +146,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -> Dat
     in a row agree: they are the same, case and punctuation aside, or placeholders of
     one type, each of the item's placeholder values in the run standing for one value
     of the document. A run that is not verbatim needs LITERAL literal words. A run is looked
-    for where a window (WIDTH words, SHORT_WIDTH for short items) of LITERAL literal words is the
-    same throughout or agrees throughout by placeholders. Items of under SHORT_WIDTH words, and null or empty
+    for where a window (WIDTH words, SHORT_WIDTH for short items) is the same throughout or agrees
+    throughout by placeholders. Items of under SHORT_WIDTH words, and null or empty
     texts match nothing. Repeated rows are one document where id and text agree; a
     null doc_id is a value like any other. Returns one row for each document and item:
     doc_id, text_hash, item_id, n_windows (of the longest run), n_words, n_changed
@@ -167,7 +173,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -> Dat
     for width in sorted(widths):
         at = full.select("doc_id", "text_hash", F.explode(_hashes(F.col("words"), width, 1)).alias("w"))
         at = at.select("doc_id", "text_hash", F.col("w.at").alias("d_at"), F.col("w.h").alias("dh"))
-        own = _small(bench.where(F.col("width") == width))
+        own = _small(bench.where((F.col("width") == width) & F.col("deep")))
         hit = at.join(own, F.col("dh") == F.col("h")).select("doc_id", "text_hash", "item_id", "item_hash", "n_words", (F.col("d_at") - F.col("i_at")).alias("offset"))
         rows = hit if rows is None else rows.union(hit)
     if rows is None:

@@ -291,6 +291,17 @@ def test_decontamination_needs_one_run(spark):
     assert found_in(spark, item, apart, broken, f"so {item}") == {2}
 
 
+def test_decontamination_keeps_dense_numbers(spark):
+    short = "How many apples does Tom have after 12 days?"
+    assert found_in(spark, short, f"well. {short} yes", short.replace("12", "40"), "how many apples does Tom want") == {0, 1}
+    dense = "Add 12, 15, 27, 33, 41 and 50 then double the sum of all"
+    other = "Add 13, 16, 28, 34, 42 and 51 then double the sum of all"
+    rows = "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
+    for lead in ("", "a. ", "a b. ", "a b c. ", "a b c d. "):
+        assert found_in(spark, dense, lead + dense, lead + other, rows) == {0, 1}
+    assert found_in(spark, "3 5 8 13 21 34 55 89 144 233 377 610 987", "see 3 5 8 13 21 34 55 89 144 233 377 610 987", rows) == {0}
+
+
 def test_decontamination_case_and_first_word(spark):
     item = "yesterday Anna met Ben and Carl near the river while Dora stayed at home to read a long book about old ships at sea"
     assert found_in(spark, item, item.lower(), item.upper(), item.title()) == {0, 1, 2}
