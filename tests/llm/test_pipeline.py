@@ -41,6 +41,15 @@ def test_stages(spark):
     assert whole == {tuple(r) for r in docs.collect()}
 
 
+def test_near_duplicates_of_five_words(spark):
+    words = [f"w{k}" for k in range(200)]
+    edited = [f"x{k}" if k in (40, 80, 120, 160) else w for k, w in enumerate(words)]
+    texts = {1: " ".join(words), 2: " ".join(edited), 3: " ".join(words[:163]), 4: " ".join(words[:120]), 5: " ".join(words[::-1])}
+    up = h.components({i: h.shingles(t, 5) for i, t in texts.items()}, 80)
+    out = corpus_pipeline.near_duplicates(spark, h.documents(spark, texts.items()), SF)
+    assert {r["doc_id"] for r in out.collect()} == {i for i in texts if up[i] == i} == {1, 4, 5}
+
+
 def test_empty_input(spark):
     docs = table(spark, SF, "documents").where("false")
     for name, stage in corpus_pipeline.STAGES:
