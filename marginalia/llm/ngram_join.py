@@ -275,16 +275,16 @@ def _blocks(percent: int):
     return run
 
 
-def links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of the join.
+def spanning_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """Classes of the join, and links that connect what its links connect.
 
     docs: doc_id (integer) and text. A document's set: the distinct `width`-word
     shingles of its words (between ASCII white space, A-Z lower-cased); fewer words
     are one shingle, none an empty set. Sets link where 100 * common >= percent * united.
     Returns (classes, links): doc_id, n, sid for every row, where sid names the set;
-    and a, b, pairs of sids of different sets. Equal sets share a sid; empty ones have
-    n 0 and never link. In a group of copies only what connects it is listed, not
-    every pair. Hashes have 64 bits. Null texts are empty; repeated rows are copies.
+    and a, b, linked pairs of sids of different sets. Equal sets share a sid; empty ones have
+    n 0 and never link. Each pair is a link, and linked sets are connected by pairs, but
+    not every link is listed, so links of a document can't be counted here. Hashes have 64 bits. Null texts are empty; repeated rows are copies.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = materialize(plain.mapInArrow(_signatures(width, percent), "doc_id long, n long, sid long, cut long, prefix array<long>"))
@@ -335,7 +335,7 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links,
     for every row of `docs`. Documents with an empty set stand alone; a null doc_id
     counts only where a group has no other."""
-    classes, edges = links(docs, width, percent)
+    classes, edges = spanning_links(docs, width, percent)
     comp = components(edges)
     least = classes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = least.join(comp, F.col("sid") == F.col("v"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))

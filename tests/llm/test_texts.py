@@ -133,6 +133,20 @@ def test_ngram_join_chains_and_edges(spark):
     assert ngram_join.groups(docs.where("false")).collect() == []
 
 
+def test_ngram_join_spanning_links(spark):
+    words = [f"w{k}" for k in range(300)]
+    texts = {i: " ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(20, 280, 20)}
+    sets = {i: h.shingles(t) for i, t in texts.items()}
+    classes, links = ngram_join.spanning_links(h.documents(spark, texts.items()))
+    of = {r["sid"]: r["doc_id"] for r in classes.collect()}
+    pairs = {(of[r["a"]], of[r["b"]]) for r in links.collect()}
+    assert all(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a, b in pairs)
+    seen = {20}
+    for _ in texts:
+        seen |= {x for p in pairs if seen & set(p) for x in p}
+    assert seen == set(texts)
+
+
 def test_ngram_join_shared_ids(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
     rows = [(None, a), (None, b), (7, a + " more"), (7, b + " more"), (8, b)]
