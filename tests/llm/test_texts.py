@@ -328,47 +328,75 @@ def test_decontamination_case_and_first_word(spark):
 # LM scoring
 
 
-def plain_scores(texts, prior):
+def plain_weight(counts, ones):
+    """weight_of by bisection over the same points."""
+    import math
+
+    grid = [float(w) for w in lm_score.WEIGHTS]
+    left = [sum(c * w / (c + w) for c in counts) for w in grid]
+    if not counts or ones <= left[0]:
+        return grid[0]
+    if ones >= left[-1]:
+        return grid[-1]
+    i = next(k for k in range(len(grid)) if left[k + 1] >= ones)
+    share = (math.log(ones) - math.log(left[i])) / (math.log(left[i + 1]) - math.log(left[i]))
+    return float(f"{2 ** (math.log2(grid[i]) + share):.4g}")
+
+
+def plain_scores(texts):
+    """Counts and probabilities as stated, token by token."""
     import math
 
     words = {i: [*h.words(t), None] for i, t in texts.items()}
-    train = [i for i in texts if h.crc(i, 5) != 1]
-    one, two = Counter(), Counter()
+    train = [i for i in texts if i is None or h.crc(i, 5) != 1]
+    one, two, three = Counter(), Counter(), Counter()
     for i in train:
-        last = "<s>"
-        one[last] += 1
-        for w in words[i]:
+        seq = ["<s>", *words[i]]
+        one["<s>"] += 1
+        for k, w in enumerate(words[i]):
             one[w] += 1
-            two[last, w] += 1
-            last = w
+            two[seq[k], w] += 1
+            if k:
+                three[seq[k - 1], seq[k], w] += 1
     n, v = sum(c for w, c in one.items() if w != "<s>"), sum(1 for w in one if w != "<s>")
+    w1 = plain_weight(list(one.values()), sum(c == 1 for c in two.values()))
+    w2 = plain_weight(list(two.values()), sum(c == 1 for c in three.values()))
     out = {}
     for i, ws in words.items():
         base = score = 0.0
-        last = "<s>"
-        for w in ws:
-            root = (one[w] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(root)
-            score += math.log10((two[last, w] + prior * root) / (one[last] + prior))
-            last = w
+        seq = ["<s>", *ws]
+        for k, w in enumerate(ws):
+            p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            p = (two[seq[k], w] + w1 * p) / (one[seq[k]] + w1)
+            if k:
+                p = (three[seq[k - 1], seq[k], w] + w2 * p) / (two[seq[k - 1], seq[k]] + w2)
+            score += math.log10(p)
         out[i] = (i not in train, len(ws), sum(one[w] > 0 for w in ws), n, base, score)
     return out
 
 
-@pytest.mark.parametrize("segment", [3, 1 << 20])
+@pytest.mark.parametrize("segment", [1, 3, 1 << 20])
 def test_lm_score(spark, monkeypatch, segment):
     monkeypatch.setattr(lm_score, "SEGMENT", segment)
     monkeypatch.setattr(lm_score, "PACK_BYTES", 200)
-    texts = {i: f"the Cat {i % 3} sat on the mat {'again ' * (i % 5)}" for i in range(40)} | {50: None, 51: "", 52: "word " * 3000}
+    monkeypatch.setattr(lm_score, "SHARD", 100)
+    texts = {i: f"the Cat {i % 3} sat on the mat {'again ' * (i % 5)}" for i in range(40)} | {50: None, 51: "", 52: "word " * (300 if segment == 1 else 3000), 53: "the", None: "the cat"}
     docs = h.documents(spark, texts.items())
-    want = plain_scores(texts, lm_score.PRIOR)
+    want = plain_scores(texts)
     rows = lm_score.score(docs).collect()
     assert len(rows) == len(texts)
     for r in rows:
         w = want[r["doc_id"]]
         assert tuple(r)[1:5] == w[:4] and r["base_score"] == pytest.approx(w[4]) and r["score"] == pytest.approx(w[5])
+
+
+def test_lm_score_repeats_and_empty(spark):
+    docs = h.documents(spark, [(1, "a b c"), (None, "a b"), (2, None)])
     assert lm_score.score(docs.where("false")).collect() == []
-    assert len(lm_score.score(docs.union(docs)).collect()) == 2 * len(texts)
+    assert len(lm_score.score(docs.union(docs)).collect()) == 6
+    alone = lm_score.score(docs.where("doc_id = 2")).collect()
+    assert [(r["n_tokens"], r["train_tokens"]) for r in alone] == [(1, 1 if h.crc(2, 5) != 1 else 0)]
 
 
 def test_lm_score_is_better_than_its_root(spark):
