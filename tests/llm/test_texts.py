@@ -456,30 +456,72 @@ def test_html_pages(spark, duck):
 # Quality
 
 
-def test_kneser_ney_sums_to_one(spark):
-    texts = h.documents(spark, [(1, "abracadabra"), (2, "banana band"), (3, "cab" * 7)])
-    grams, contexts = quality.fit(texts)
-    model = quality.Model(grams.toArrow(), contexts.toArrow())
-    known = sorted({c for t in ("abracadabra", "banana band", "cab") for c in t})
-    for start in ("", "a", "an", "ban", "xyz"):
-        total = 0.0
-        for c in [*known, quality._END, "?"]:  # one code point that no text has stands for all of these
-            total += 10 ** one(model, quality._codes(quality._PAD + start + c)[-quality.ORDER :])
-        assert total == pytest.approx(1, abs=1e-6)
-
-
-def one(model, code):
-    """Log10 probability of the last code behind the others."""
-    import numpy as np
+def plain_kneser_ney(texts):
+    """A function (context, code point) to probability, by recursion over plain counts."""
+    n = quality.ORDER
+    counts = {n: Counter()}
+    for t in texts:
+        padded = quality._PAD + t + quality._END
+        counts[n].update(padded[i : i + n] for i in range(len(padded) - n + 1))
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut, of = {}, {}
+    for k, c in counts.items():
+        m = [0, *(sum(v == j for v in c.values()) for j in (1, 2, 3, 4))]
+        cut[k] = []
+        for j in (1, 2, 3):
+            d = j - (j + 1) * (m[1] / (m[1] + 2 * m[2])) * m[j + 1] / m[j] if m[j] and m[j + 1] else -1
+            cut[k].append(d if 0 < d <= j else j / 2)
+        of[k] = defaultdict(list)
+        for g, v in c.items():
+            of[k][g[:-1]].append(v)
+
+    def p(h, w):
+        k = len(h) + 1
+        mine = of[k].get(h)
+        below = p(h[1:], w) if k > 1 else 1 / (len(counts[1]) + 1)
+        if not mine:
+            return below
+        d = lambda v: cut[k][min(v, 3) - 1]
+        own = counts[k].get(h + w, 0)
+        return ((own - d(own)) if own else 0) / sum(mine) + sum(map(d, mine)) / sum(mine) * below
+
+    return p
+
+
+def test_kneser_ney_matches_brute_force(spark, monkeypatch):
+    import math
 
-    log = 0.0
-    for n in range(quality.ORDER, 0, -1):
-        hit, p = model._find(model.p[n - 1], quality._at(code, np.array([quality.ORDER - n]), n, 1))
-        if hit[0]:
-            return log + p[0]
-        known, w = model._find(model.w[n - 1], quality._at(code, np.array([quality.ORDER - n]), n - 1, 1))
-        log += w[0] if known[0] else 0.0
-    return log
+    monkeypatch.setattr(quality, "PACK", 40)  # texts in several pieces
+    train = ["abracadabra", "banana band", "cab" * 7, "band aid"]
+    p = plain_kneser_ney(train)
+    known = sorted({c for t in train for c in t})
+    for start in ("   ", "ban", "xyz", "\x02\x02\x02"):
+        total = sum(p(start, c) for c in [*known, quality._END, "?"])  # one code point that no text has stands for all of these
+        assert total == pytest.approx(1, abs=1e-9)
+    grams, contexts = quality.fit(h.documents(spark, list(enumerate(train))))
+    ask = [(1, "abba"), (2, "zzz bandana" * 30), (2, "x"), (None, "cab"), (3, ""), (4, None), (5, "bandé 漢"), (1, "abba")]
+    docs = h.documents(spark, ask).union(h.documents(spark, [(9, "abba")], lang="xx")).select("doc_id", "lang", "text")
+    rows = quality.perplexities(docs, grams, contexts).collect()
+    got = sorted(((r["doc_id"] or 0, r["n_chars"], r["perplexity"]) for r in rows), key=str)
+    want = []
+    for i, t in [*ask, (9, None)]:
+        padded = quality._PAD + (t or "") + quality._END
+        log = sum(math.log10(p(padded[k : k + 3], padded[k + 3])) for k in range(len(padded) - 3))
+        want.append((i or 0, len(t or "") if i != 9 else 4, pytest.approx(10 ** (-log / (len(t) + 1))) if t else None))
+    assert len(got) == len(want)
+    for w in want:
+        assert any(g[:2] == w[:2] and g[2] == w[2] for g in got), (w, got)
+    assert quality.perplexities(docs.where("false"), grams, contexts).collect() == []
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    rows = h.documents(spark, [(i, "some text") for i in range(300)]).select("doc_id", "lang", F.length("text").alias("chars"))
+    for docs, chars, most in ((50, 10**6, 50), (10**6, 900, 100)):
+        monkeypatch.setattr(quality, "TRUSTED_DOCS", docs)
+        monkeypatch.setattr(quality, "TRUSTED_CHARS", chars)
+        n = quality._bounded(rows).count()
+        assert 0.8 * most <= n <= most
 
 
 def test_quality(spark):
