@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ PACKS = 4
 #: Weights among which the weight of the lower order in a state is found, in tokens.
 WEIGHTS = 2.0 ** np.arange(-8, 25)
 END, BEGIN = np.uint64(0x7F4A7C159E3779B9), np.uint64(0x1CE4E5B9BF58476D)
-_PACK = "pack long, row array<long>, doc_id array<long>, held array<boolean>, size array<int>, prev array<array<long>>, vocab binary, ids binary"
+_PACK = "pack long, row array<long>, doc_id array<long>, held array<boolean>, size array<int>, prev array<array<long>>, words int, vocab binary, ids binary"
 _ASK = "shard long, kind int, pack long, n int, keys binary, counts binary"
 _SAY = "pack long, kind int, shard long, totals binary, types long, tokens long, ones long, left array<double>"
 #: Bytes of a key within its shard.
@@ -44,7 +45,7 @@ def _schema(kinds: dict) -> pa.Schema:
 
 
 def _packs(batches):
-    schema = _schema({"pack": pa.int64(), "row": pa.list_(pa.int64()), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "size": pa.list_(pa.int32()), "prev": pa.list_(pa.list_(pa.int64())), "vocab": pa.binary(), "ids": pa.binary()})
+    schema = _schema({"pack": pa.int64(), "row": pa.list_(pa.int64()), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "size": pa.list_(pa.int32()), "prev": pa.list_(pa.list_(pa.int64())), "words": pa.int32(), "vocab": pa.binary(), "ids": pa.binary()})
     part, made, rows = TaskContext.get().partitionId(), 0, 0
     known: dict[bytes, int] = {}
     segments: list[tuple] = []
@@ -53,7 +54,7 @@ def _packs(batches):
     def pack():
         words = np.concatenate([s[4] for s in segments])
         vocab, ids = np.unique(words, return_inverse=True)
-        cols = [[(part << 32) + made], *([[s[k] for s in segments]] for k in (0, 1, 2)), [[len(s[4]) for s in segments]], [[s[3] for s in segments]], [vocab.tobytes()], [ids.astype("<u4").tobytes()]]
+        cols = [[(part << 32) + made], *([[s[k] for s in segments]] for k in (0, 1, 2)), [[len(s[4]) for s in segments]], [[s[3] for s in segments]], [len(vocab)], [_sorted(vocab)], [_places(ids)]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -96,7 +97,7 @@ class Pack:
 
     def __init__(self, row: dict):
         self.row, self.doc_id, self.held, self.size = (row[c] for c in ("row", "doc_id", "held", "size"))
-        vocab, ids = np.frombuffer(row["vocab"], np.uint64), np.frombuffer(row["ids"], "<u4").astype(np.int64)
+        vocab, ids = _unsorted(row["vocab"], row["words"]), _unplaced(row["ids"])
         last = np.array([p[-1] for p in row["prev"]], np.int64).view(np.uint64)
         far = np.array([p[0] for p in row["prev"]], np.int64).view(np.uint64)
         deep = np.array([len(p) > 1 for p in row["prev"]], bool)
@@ -147,15 +148,30 @@ def _offset(keys: np.ndarray, shard: int, shards: int) -> np.ndarray:
     return (keys - start) >> np.uint64(max(0, 66 - shards.bit_length() - 8 * _WIDE))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The lower bytes of sorted numbers, byte by byte: the upper ones compress to little."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDE].T).tobytes()
+def _sorted(x: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, byte by byte from the lowest; the upper bytes hold
+    little and are compressed. The first byte tells how many of the lower ones are as they are."""
+    planes = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    whole = int(np.median(np.diff(x))).bit_length() // 8 if len(x) > 1 else 8
+    return bytes([whole]) + np.ascontiguousarray(planes[:whole]).tobytes() + zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(planes[whole:]).tobytes())
 
 
-def _numbers(x: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :_WIDE] = np.frombuffer(x, np.uint8).reshape(_WIDE, n).T
-    return out.view("<u8").ravel()
+def _unsorted(x: bytes, n: int) -> np.ndarray:
+    out = np.empty((n, 8), np.uint8)
+    whole = x[0]
+    out[:, :whole] = np.frombuffer(x, np.uint8, n * whole, 1).reshape(whole, n).T
+    rest = zstandard.ZstdDecompressor().decompress(x[1 + n * whole :])
+    out[:, whole:] = np.frombuffer(rest, np.uint8).reshape(8 - whole, n).T
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _places(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unplaced(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -181,7 +197,7 @@ def _ask(shards: int):
                     for s, e in zip(cut, cut[1:], strict=False):
                         if e > s:
                             k = int(shard[s])
-                            rows.append((k, kind, row["pack"], e - s, _planes(_offset(keys[s:e], k, shards)), _narrow(counts[s:e])))
+                            rows.append((k, kind, row["pack"], e - s, _sorted(_offset(keys[s:e], k, shards)), _narrow(counts[s:e])))
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "kind", "pack", "n", "keys", "counts"])
@@ -195,7 +211,7 @@ def _say(shards: int):
     def run(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
         shard, kind = key[0].as_py(), key[1].as_py()
         sizes = asked["n"].to_pylist()
-        keys = np.concatenate([_numbers(k, n) for k, n in zip(asked["keys"].to_pylist(), sizes, strict=True)])
+        keys = np.concatenate([_unsorted(k, n) for k, n in zip(asked["keys"].to_pylist(), sizes, strict=True)])
         counts = np.concatenate([_wide(c) for c in asked["counts"].to_pylist()]).astype(np.int64)
         distinct, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
@@ -278,7 +294,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> DataFrame:
     least = parts(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(F.col("doc_id"), modulus, remainder).alias("held"), "text")
     packs = materialize(plain.mapInArrow(_packs, _PACK))
-    words, n = packs.agg(F.sum(F.length("ids") / 4), F.count("*")).collect()[0]
+    words, n = packs.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x)), F.count("*")).collect()[0]
     shards = max(least, int((words or 0) // SHARD) + 1)
     tasks = max(least, n // PACKS)
     asked = packs.mapInArrow(_ask(shards), _ASK).repartition(max(least, shards), "shard", "kind")
