@@ -492,7 +492,8 @@ def plain_kneser_ney(texts):
 def test_kneser_ney_matches_brute_force(spark, monkeypatch):
     import math
 
-    monkeypatch.setattr(quality, "PACK", 40)  # texts in several pieces
+    monkeypatch.setattr(quality, "PIECE", 40)  # texts in several pieces
+    monkeypatch.setattr(quality, "PACK", 300)
     train = ["abracadabra", "banana band", "cab" * 7, "band aid"]
     p = plain_kneser_ney(train)
     known = sorted({c for t in train for c in t})
