@@ -494,6 +494,7 @@ def test_kneser_ney_matches_brute_force(spark, monkeypatch):
 
     monkeypatch.setattr(quality, "PIECE", 40)  # texts in several pieces
     monkeypatch.setattr(quality, "PACK", 300)
+    monkeypatch.setattr(quality, "SLOTS", 5)
     train = ["abracadabra", "banana band", "cab" * 7, "band aid"]
     p = plain_kneser_ney(train)
     known = sorted({c for t in train for c in t})
