@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import fresh, materialize, table
 
 #: Words of a window, and every how many words the first pass takes one.
 WIDTH, STRIDE = 8, 5
@@ -197,8 +197,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -> Dat
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, item: str = "item_id") -> DataFrame:
     """`docs` without the rows that hold an item; every other row and column stays."""
-    bad = materialize(matches(docs, benchmark, item).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
-    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    d, t = fresh(docs, "_d", "_t")
+    bad = materialize(matches(docs, benchmark, item).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct())
+    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left_anti")
 
 
 def op6(spark, sf_dir):

@@ -7,10 +7,9 @@ of log-probabilities and documents are scored in Arrow batches with numpy.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +19,10 @@ from .common import held, table
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3, 4)
 #: Code points that are handled at once; longer texts go piece by piece.
 PIECE = 1 << 20
-#: More languages than this are taken for a wrong column.
-MAX_LANGS = 500
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the model: numbers in its matrix, and buckets of a language, of which there are fewer
+#: where there are many languages. Beyond MODEL / FEWEST languages, those with the most documents are learned.
+MODEL, FEWEST = 1 << 24, 1 << 8
+_LETTER = regex.compile(r"\p{L}")
 _MUL = [np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263)]
 
 
@@ -74,17 +74,23 @@ class Model:
 
 
 def fit(docs: DataFrame, n_buckets: int = BUCKETS, smoothing: float = 0.5) -> Model:
-    """Learns from all rows with a text and a language. Rows with a null of either,
-    or no letter, teach nothing."""
+    """Learns from all rows with a text and a language. Rows with a null of either, or no
+    letter, teach nothing; rows that repeat teach each time; other columns are ignored. Very long texts
+    are read in pieces. The model has at most MODEL numbers, whatever the rows are."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MODEL // FEWEST)
+    langs = sorted(r["lang"] for r in known.collect())
+    while n_buckets * len(langs) > MODEL and n_buckets > FEWEST:
+        n_buckets //= 2
+    if len(langs) == MODEL // FEWEST:
+        rows = rows.join(F.broadcast(known.select(F.col("lang").alias("_l"))), F.col("lang") == F.col("_l"), "left_semi")
     sums = rows.mapInArrow(_counts(n_buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    got = sums.toArrow().to_pydict()
-    place = {x: i for i, x in enumerate(langs)}
+    got = sums.toArrow()
     counts = np.zeros((n_buckets + 1, len(langs)))
-    counts[np.array(got["bucket"], int), np.array([place[x] for x in got["lang"]], int)] = got["n"]
+    place = {x: i for i, x in enumerate(langs)}
+    lang = got["lang"].combine_chunks().dictionary_encode()
+    at = np.array([place[x] for x in lang.dictionary.to_pylist()], int)[lang.indices.to_numpy(zero_copy_only=False)] if got.num_rows else np.zeros(0, int)
+    counts[got["bucket"].to_numpy(), at] = got["n"].to_numpy()
     taught = counts[-1] > 0
     counts, langs = counts[:, taught], [x for x, t in zip(langs, taught, strict=True) if t]
     grams = counts[:-1] + smoothing
@@ -106,7 +112,9 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model, carry: list[Column]) -> DataFrame:
     """The `carry` columns of each row with lang_pred and score, the posterior
     probability of that language. A null text, or one without a letter, gets
-    ``und`` and 0; so does every text if nothing was learned."""
+    ``und`` and 0; so does every text if nothing was learned. Of languages that are equally
+    probable the first by code point wins. Rows that repeat come back each; very long texts are
+    read whole, in pieces."""
     d = docs.select(*carry, F.col("text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1]]
     return d.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), ", ".join([*kinds, "lang_pred string", "score double"]))

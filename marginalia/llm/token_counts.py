@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, table
+from .common import table
 
 #: Bytes that one call to the library encodes.
 BATCH_BYTES = 1 << 20
+#: Bytes of pieces that a worker remembers before it forgets them all, and of a piece that is remembered.
+CACHE_BYTES, CACHE_PIECE = 16 << 20, 64
 _OUT = "n_bytes long, n_tokens long"
 
 
@@ -39,6 +41,7 @@ class SentencePieceCounter:
         probe = ["\n", "\n\n", " a\n b", "a  b", "\r\n"]
         self.safe = plain and all(self._whole(p) == self._cut(p) for p in probe)
         self.known: dict[str, int] = {}
+        self.size = 0
 
     _piece = re.compile("\n|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
 
@@ -52,21 +55,35 @@ class SentencePieceCounter:
         if not self.safe:
             return [self._whole(t) for t in texts]
         cut = [self._piece.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        known = self.known
-        known["\n"] = 1
-        new = [p for p in set().union(*cut) if p not in known]
-        at = 0
-        while at < len(new):
-            size, end = 0, at
-            while end < len(new) and (size == 0 or size < BATCH_BYTES):
-                size += len(new[end])
-                end += 1
-            for p, ids in zip(new[at:end], self.model.encode(["\n" + p for p in new[at:end]], num_threads=1), strict=True):
-                known[p] = len(ids) - 2
-            at = end
-        return [sum(map(known.__getitem__, ps)) for ps in cut]
+        if self.size > CACHE_BYTES:
+            self.known, self.size = {}, 0
+        self.known["\n"] = 1
+        now: dict[str, int] = {}  # of pieces too long to be remembered
+        new = [p for p in set().union(*cut) if p not in self.known]
+        for part in _batches(new):
+            for p, ids in zip(part, self.model.encode(["\n" + p for p in part], num_threads=1), strict=True):
+                if len(p) > CACHE_PIECE:
+                    now[p] = len(ids) - 2
+                else:
+                    self.known[p] = len(ids) - 2
+                    self.size += len(p) + 100
+        both = self.known | now if now else self.known
+        return [sum(map(both.__getitem__, ps)) for ps in cut]
+
+
+def _batches(texts: list[str]):
+    """The texts in runs of about BATCH_BYTES; a longer one is a run of its own."""
+    run: list[str] = []
+    size = 0
+    for t in texts:
+        n = len(t.encode("utf-8", "surrogatepass"))
+        if run and size + n > BATCH_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += n
+    if run:
+        yield run
 
 
 class TokenizersCounter:
@@ -80,10 +97,7 @@ class TokenizersCounter:
         self.model.no_padding()
 
     def counts(self, texts: list[str]) -> list[int]:
-        out: list[int] = []
-        for at in range(0, len(texts), 64):
-            out += [len(e.ids) for e in self.model.encode_batch(texts[at : at + 64], add_special_tokens=False)]
-        return out
+        return [len(e.ids) for part in _batches(texts) for e in self.model.encode_batch(part, add_special_tokens=False)]
 
 
 _open: dict[str, object] = {}
@@ -99,17 +113,10 @@ def _count(path: str):
     def run(batches):
         c = counter(path)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            n_bytes, n_tokens, at = [], [], 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (size == 0 or size < BATCH_BYTES):
-                    size += len(texts[end] or "")
-                    end += 1
-                part = [t or "" for t in texts[at:end]]
+            n_bytes, n_tokens = [], []
+            for part in _batches([t or "" for t in batch["text"].to_pylist()]):
                 n_bytes += [len(t.encode()) for t in part]
                 n_tokens += c.counts(part)
-                at = end
             names = [x for x in batch.schema.names if x != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=[*names, "n_bytes", "n_tokens"])
 

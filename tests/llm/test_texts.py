@@ -67,6 +67,20 @@ def test_line_dedup_edges(spark, keep, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_line_dedup_sql_counts_rows(spark, duck, monkeypatch):
+    """The SQL and the operator agree on rows that repeat: each counts."""
+    import duckdb
+
+    rows = [(1, "a\nb")] * 12 + [(2, "c\na"), (3, None), (None, "x\nA ")]
+    df = h.documents(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    want = con.sql(line_dedup.OP1_SQL).df()
+    monkeypatch.setattr("marginalia.llm.common.table", lambda *_: df)
+    got = line_dedup.op1(spark, "").toPandas()
+    assert rows_of(got.astype({"doc_id": "Int64"}), sorted(want.columns)) == rows_of(want.astype({"doc_id": "Int64"}), sorted(want.columns)) and set(got.n_dropped) == {0, 1, 2}
+
+
 def test_line_dedup_repeats_and_empty(spark):
     again = h.documents(spark, [(1, "a\nb"), (1, "a\nb"), (None, "a\nc"), (2, "d")])
     got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.dedup_lines(again, 3).collect())
@@ -94,6 +108,16 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(ask, none, []).collect()} == {"und"}
 
 
+def test_language_letters_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL", 1 << 10)
+    train = spark.createDataFrame([(i, f"word{i}", f"l{i:02}") for i in range(10)] + [(99, "common word", "l03")], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    assert len(model.langs) == 4 and "l03" in model.langs and len(model.weights) == 256
+    ask = h.documents(spark, [(1, "½ ² Ⅷ ٣ _ 7"), (2, "ª"), (3, "漢")])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(ask, model, [F.col("doc_id")]).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"
+
+
 def test_language_pieces_are_whole(monkeypatch):
     text = "Straße für alle, " * 40
     whole = Counter(x for ids in language_id.buckets(text) for x in ids.tolist())
@@ -267,6 +291,27 @@ def test_decontamination_finds_runs(spark):
     assert decontaminate.matches(h.documents(spark, []), bench).collect() == []
 
 
+def test_decontamination_without_broadcast_and_clashing_names(spark, docs, monkeypatch):
+    bench = table(spark, SF, "benchmark")
+    want = {tuple(r) for r in decontaminate.matches(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert {tuple(r) for r in decontaminate.matches(docs, bench).collect()} == want
+    odd = docs.selectExpr("doc_id", "text", "'x' AS _d", "1 AS _t", "2 AS _gone")
+    bad = {r[0] for r in want}
+    assert {r["doc_id"] for r in decontaminate.decontaminate(odd, bench).collect()} == {r["doc_id"] for r in docs.collect()} - bad
+    assert ngram_join.keep_one(odd.limit(20)).columns == odd.columns
+
+
+def test_decontamination_ids_and_repeats(spark):
+    item = "the quick brown fox jumped over one lazy dog and then it slept near the old mill until morning"
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item + " again")], "item_id long, text string")
+    rows = [(None, f"so {item}"), (5, item), (5, item), (5, "other words"), (6, "the quick brown fox " * 30)]
+    got = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontaminate.matches(h.documents(spark, rows), bench).collect())
+    assert got == [(0, 1), (0, 2), (5, 1), (5, 2)]
+    left = [r["doc_id"] for r in decontaminate.decontaminate(h.documents(spark, rows), bench).collect()]
+    assert left == [5, 6]
+
+
 def test_decontamination_slots_must_agree(spark):
     item = "if 3 boxes hold 9 balls each then 3 boxes and one more of them will hold some other number of balls in total"
     same = item.replace("3", "5").replace("9", "4")
@@ -421,6 +466,11 @@ def test_token_counts(spark, texts):
         assert (r["n_bytes"], r["n_tokens"]) == (len(t.encode()), len(model.encode(t))), t[:40]
         assert r["over_limit"] == (r["n_tokens"] > 4096)
     assert token_counts.token_counts(docs.where("false"), path).collect() == []
+    again = h.documents(spark, [(None, "a b"), (3, "a b"), (3, "a b")])
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in token_counts.token_counts(again, path).collect()) == [(0, 2), (3, 2), (3, 2)]
+    counter = token_counts.SentencePieceCounter(path)
+    counter.counts([f"w{i}" * 40 for i in range(50)])
+    assert max(map(len, counter.known)) <= token_counts.CACHE_PIECE
     other = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert len(other) == docs.count()
 
