@@ -19,17 +19,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, materialize, parts, raw, table
+from .common import CACHE_ENTRIES, fresh, materialize, parts, raw, table
 
 #: Part of a set's size that its prefix is longer than the shortest that is exact.
 EXTRA = 0.15
 #: Bits of a token bitmap, children of a tree node, members of a block that one task takes at once.
-BITS, FAN, BLOCK = 4096, 8, 2048
-#: A table of set names and ids is broadcast if it has no more rows.
-BROADCAST_ROWS = 500_000
+BITS, FAN, BLOCK = 4096, 8, 512
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,13 +96,21 @@ def _name(s: np.ndarray) -> int:
     return np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64).item()
 
 
+def _packed(batches):
+    """Texts as they travel, compressed."""
+    pack = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        texts = [pack(t or b"") for t in raw(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+
 def _full(width: int):
     """Members of the sets that were asked for; of texts that only share an id, nothing comes."""
 
     def run(batches):
         shingles = Shingler(width)
         for batch in batches:
-            sets = [shingles(t) for t in raw(batch["text"])]
+            sets = [shingles(zstandard.ZstdDecompressor().decompress(t)) for t in batch["text"].to_pylist()]
             own = [_name(x) == sid for x, sid in zip(sets, batch["sid"].to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([batch["sid"], pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "members"])
             yield out.filter(pa.array(own, pa.bool_()))
@@ -299,10 +306,9 @@ def spanning_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[
     alive = materialize(alive.where(F.col("k") >= must))
     # The member of whose prefix the most is common is the likeliest to be near all others.
     block = shared.join(alive.drop("rep"), "sid").where("token <= cut").select("token", "sid", "n", (F.col("k") / F.col("n")).alias("weight")).distinct()
-    of = alive.select("sid", "rep")
-    if alive.count() <= BROADCAST_ROWS:  # beyond it the texts are shuffled
-        of = F.broadcast(of)
-    texts = plain.join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
+    # Which sets have a candidate grows with the corpus: the texts are shuffled to them at every size.
+    texts = plain.mapInArrow(_packed, "doc_id long, text binary")
+    texts = texts.join(alive.select("sid", "rep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
     full = materialize(texts.mapInArrow(_full(width), "sid long, members binary").dropDuplicates(["sid"]))
 
     pivot = block.groupBy("token").agg(F.max(F.struct("weight", "sid", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
@@ -349,8 +355,9 @@ def groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """`docs` with the document of the smallest doc_id of each group; of repeated
     rows all stay, as do documents without words."""
-    gone = groups(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialize(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = groups(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(materialize(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op4(spark, sf_dir):
