@@ -33,14 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Folders written by this process, in order.
+_made: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: lineage ends
-    there, and a lost executor costs no recomputation."""
+    there, and a lost executor costs no recomputation. The folder stays until `release`."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many folders were written so far; for `release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes folders that were written after `since`, but for those that `keep` reads. What was
+    made of them must have been written elsewhere."""
+    kept = keep.inputFiles() if keep is not None else []
+    for path in [p for p in _made[since:] if not any(p in f for f in kept)]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that the DataFrame doesn't have, in any case."""
     have = {c.lower() for c in df.columns}

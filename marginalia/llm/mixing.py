@@ -16,10 +16,6 @@ from pyspark.sql.window import Window
 
 from .common import materialize, raw, spread_rank, table
 
-#: More sources than this are taken for a wrong column: one number each comes to the driver.
-MAX_SOURCES = 1_000_000
-
-
 def _sizes(batches):
     for batch in batches:
         n = [len(t.split()) if t else 0 for t in raw(batch["text"])]
@@ -27,21 +23,32 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), pa.array(n, pa.int64())], names=[*names, "size"])
 
 
-def targets(sizes: dict, weights: dict, budget: float, times: int = 3) -> dict:
-    """Words of each source: the budget by weight; who would pass `times` its size
-    stops there and the rest is shared again, until none is above."""
-    out: dict = {}
-    left, open_ = float(budget), sorted(sizes, key=lambda s: (s is None, s or ""))
-    while open_:
-        total = sum(weights[s] for s in open_)
-        over = [s for s in open_ if left * weights[s] / total > times * sizes[s]]
-        if not over:
-            return out | {s: left * weights[s] / total for s in open_}
-        for s in over:
-            out[s] = float(times * sizes[s])
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
+def targets(sources: DataFrame, budget: float, times: int = 3) -> DataFrame:
+    """`sources` (source, n, w) with `target`: the budget by weight; who would pass `times` its size
+    stops there and the rest is shared again, until none is above. Only the level, words for
+    each weight, comes to the driver; it rises from round to round until no source more stops."""
+    full = F.lit(float(times)) * F.col("n")
+    level, stopped = 0.0, -1
+    while True:
+        stops = full < F.lit(level) * F.col("w")
+        row = sources.agg(F.sum(F.when(stops, full)), F.sum(F.when(~stops, F.col("w"))), F.count(F.when(stops, 1))).first()
+        if row[2] == stopped:
+            break
+        stopped, left = row[2], budget - (row[0] or 0.0)
+        level = left / row[1] if row[1] else float("inf")
+    return sources.withColumn("target", F.when(stops, full).otherwise(F.lit(level) * F.col("w")))
+
+
+def weighted(sizes: DataFrame, weights: dict | None) -> DataFrame:
+    """source, n and w: 1, 2, 3, repeating, by code point with null last, or the given weights."""
+    if weights is not None:
+        given = sizes.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_s string, w double")
+        return sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    placed = spread_rank(sizes.withColumn("_null", F.col("source").isNull()), ["_null", "source"])
+    per = placed.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.join(F.broadcast(per.select("_p", before.alias("before"))), F.col("_part") == F.col("_p"))
+    return placed.select("source", "n", (1 + (F.col("before") + F.col("_at")) % 3).cast("double").alias("w"))
 
 
 def _running(spread: DataFrame, value: str, groups: list[str]) -> DataFrame:
@@ -70,22 +77,16 @@ def mix(docs: DataFrame, weights=None, share: float = 1.0, times: int = 3, seed:
     `share` of all words. Each row is a document, repeated rows too; their order in
     the queue is by hash, then doc_id, so reruns agree. Returns doc_id, source, size,
     source_size, target, taken; the words of as many whole passes as finish in time.
-    An empty table gives an empty mix.
+    A source without words has target and taken 0; who ties at the cut shares the others' fate. Sources
+    without a given weight are left out. Other columns are ignored; an empty table gives an empty mix.
     """
     cols = docs.select("doc_id", "source", "text").mapInArrow(_sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size long")
     sized = materialize(cols.withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))))
-    found = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["n"] for r in found}
-    ranked = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weights = weights or {s: 1 + i % 3 for i, s in enumerate(ranked)}
-    budget = share * sum(sizes.values())
-    goal = targets(sizes, weights, budget, times)
-    rows = [(s, sizes[s], goal[s]) for s in ranked]
-    of = docs.sparkSession.createDataFrame(rows, "_source string, source_size long, target double")
+    sizes = materialize(sized.groupBy("source").agg(F.sum("size").alias("n")))
+    budget = share * (sizes.agg(F.sum("n")).first()[0] or 0)
+    of = materialize(targets(materialize(weighted(sizes, weights)), budget, times)).select(F.col("source").alias("_source"), F.col("n").alias("source_size"), "target")
     queue = spread_rank(sized, ["source", "_h", "doc_id", "size"])
-    queue = _running(queue, "size", ["source"]).join(F.broadcast(of), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_part", "_at")
+    queue = _running(queue, "size", ["source"]).join(of, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_part", "_at")
     queue = materialize(queue)
     # Every pass is ranked: when documents are large against their target, the cut may fall at any time.
     turn = F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("turn")

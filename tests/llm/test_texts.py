@@ -211,9 +211,38 @@ def test_dual_traversal_loses_no_link():
 # Mixing
 
 
-def test_targets_share_what_is_left():
-    got = mixing.targets({"a": 10, "b": 1000, None: 990}, {"a": 1, "b": 2, None: 3}, 2000)
+def test_targets_share_what_is_left(spark):
+    rows = spark.createDataFrame([("a", 10, 1.0), ("b", 1000, 2.0), (None, 990, 3.0)], "source string, n long, w double")
+    got = {r["source"]: r["target"] for r in mixing.targets(rows, 2000).collect()}
     assert got["a"] == 30 and got["b"] == pytest.approx(788) and got[None] == pytest.approx(1182)
+    few = {r["source"]: r["target"] for r in mixing.targets(rows.where("source = 'a'"), 2000).collect()}
+    assert few == {"a": 30}
+
+
+def test_weights_go_by_code_point(spark):
+    names = ["b", "a", "Z", "é", "", None, "aa"]
+    rows = spark.createDataFrame([(s, 1) for s in names], "source string, n long")
+    got = {r["source"]: r["w"] for r in mixing.weighted(rows, None).collect()}
+    assert got == {s: 1 + i % 3 for i, s in enumerate(["", "Z", "a", "aa", "b", "é", None])}
+    assert {r["source"]: r["w"] for r in mixing.weighted(rows, {"a": 5, None: 2}).collect()} == {"a": 5, None: 2}
+
+
+def test_released_folders_go(spark, tmp_path, monkeypatch):
+    from marginalia.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    since = common.made()
+    one = common.materialize(spark.range(3))
+    two = common.materialize(one.where("id > 0"))
+    common.release(spark, since, keep=two)
+    assert len(list(tmp_path.iterdir())) == 1 and two.count() == 2 and common.made() == since + 1
+
+
+def test_mixing_of_a_source_without_words(spark):
+    rows = [(i, s, t) for i, (s, t) in enumerate([("a", None), ("a", " "), ("b", "x y"), ("b", "x y"), ("c", "z " * 8), ("d", "")])]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r["source"]: r["target"] for r in got if r["source"] in "ad"} == {"a": 0.0, "d": 0.0}
+    assert all(r["taken"] == 0 for r in got if r["size"] == 0) and 0 < sum(r["taken"] for r in got) <= 12
 
 
 def test_mixing(spark, texts):
