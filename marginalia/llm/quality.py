@@ -2,7 +2,7 @@
 
 The tokens are code points, so that every text has all its tokens known or nearly so.
 Counts of n-grams, and of their continuations, are sharded by n-gram and joined order by
-order into interpolated probabilities. The trusted sample is bounded by documented parameters.
+order into interpolated probabilities. Every trusted document counts, whole.
 
 Documents meet the model in sharded joins as well: they are packed, the distinct n-grams of each
 pack are aggregated to those of the corpus, these are joined with the model's tables order by
@@ -26,7 +26,7 @@ from .common import held, materialize, parts, table
 
 #: Length of n-grams.
 ORDER = 4
-#: Bounds of the trusted sample: documents, and code points of all of them. They bound the tables.
+#: Bounds of `_bounded`: documents, and code points of all of them.
 TRUSTED_DOCS, TRUSTED_CHARS = 20_000, 40_000_000
 #: Quantile of the trusted documents' perplexities up to which a document is kept.
 QUANTILE = 0.995
@@ -89,9 +89,14 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def fit(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables of (lang, n, g, p) and (lang, n, h, weight): the interpolated probability of
-    each n-gram seen, and what each context leaves to the next lower order."""
-    counts = {ORDER: materialize(texts.select("lang", "text").mapInArrow(_grams, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")))}
+    """The model of texts (lang, text)."""
+    return _fit(texts.select("lang", "text").mapInArrow(_grams, "lang string, g string, c long"))
+
+
+def _fit(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of (lang, n, g, p) and (lang, n, h, weight) from n-grams with counts: the interpolated
+    probability of each n-gram seen, and what each context leaves to the next lower order."""
+    counts = {ORDER: materialize(found.groupBy("lang", "g").agg(F.sum("c").alias("c")))}
     for n in range(ORDER - 1, 0, -1):
         counts[n] = counts[n + 1].groupBy("lang", F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("c"))
     grams = contexts = lower = None
@@ -149,10 +154,10 @@ def _salt(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang) >> 24
 
 
-def _windows(row: dict):
+def _windows(row: dict, text: str | None = None):
     """Runs of pieces of one language, of not much more than PIECE code points: language, first and
     last piece, text, where the pieces begin in it, the places of n-grams within pieces, and their keys."""
-    text = bz2.decompress(row["body"]).decode("utf-8", "surrogatepass")
+    text = bz2.decompress(row["body"]).decode("utf-8", "surrogatepass") if text is None else text
     sizes, langs, at, i = row["size"], row["lang"], 0, 0
     while i < len(sizes):
         first, begin = i, at
@@ -170,6 +175,29 @@ def _windows(row: dict):
         yield langs[first], first, i, part, np.append(0, ends[:-1]), places, _hash(_codes(part), ORDER, _salt(langs[first]))[places]
 
 
+def _learned(batches):
+    """The n-grams of the pieces of a pack that are trusted, with their counts. A piece has its own n-grams and no others."""
+    found: dict[tuple[str, str], int] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            mine, text = set(row["trusted"]), bz2.decompress(row["body"]).decode("utf-8", "surrogatepass")
+            at, parts = 0, []
+            for i, size in enumerate(row["size"]):
+                if i in mine and size:
+                    parts.append((row["lang"][i], size, text[at : at + size]))
+                at += size
+            cut = {"lang": [p[0] for p in parts], "size": [p[1] for p in parts]}
+            for lang, _, _, part, _, places, h in _windows(cut, "".join(p[2] for p in parts)):
+                _, first, n = np.unique(h, return_index=True, return_counts=True)
+                for i, k in zip(places[first].tolist(), n.tolist(), strict=True):
+                    g = (lang, part[i : i + ORDER])
+                    found[g] = found.get(g, 0) + k
+                if len(found) > 1_000_000:
+                    yield _rows(found)
+                    found = {}
+    yield _rows(found)
+
+
 def _slots() -> np.ndarray:
     """A table of keys by their first bits; an empty slot has a key of another one."""
     return (np.arange(1 << SLOTS, dtype=np.uint64) ^ np.uint64(1)) << np.uint64(64 - SLOTS)
@@ -313,13 +341,22 @@ def log_probability(asked: DataFrame, grams: DataFrame, contexts: DataFrame) ->
     return out
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The texts of doc_id, lang and text in packs."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.mapInArrow(_packs, f"pack long, row array<long>, doc_id array<{kind}>, lang array<string>, chars array<long>, size array<int>, body binary"))
+
+
 def perplexities(docs: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars and perplexity of each row of doc_id, lang and text; null for
     null and empty texts and where the model doesn't have the language. Logarithms of n-grams
     travel as 32-bit floats, which a perplexity has in its seventh digit."""
-    least = parts(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    packs = materialize(docs.mapInArrow(_packs, f"pack long, row array<long>, doc_id array<{kind}>, lang array<string>, chars array<long>, size array<int>, body binary"))
+    return _perplexities(packed(docs), grams, contexts)
+
+
+def _perplexities(packs: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    least = parts(packs.sparkSession)
+    kind = packs.schema["doc_id"].dataType.elementType.simpleString()
     n = packs.count()
     tasks, shards = max(least, n // PACKS), max(least, n // SHARE)
     asked = materialize(packs.mapInArrow(_asked(shards), "shard long, pack long, lang string, grams string"))
@@ -333,7 +370,7 @@ def perplexities(docs: DataFrame, grams: DataFrame, contexts: DataFrame) -> Data
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
-    """Rows of the smallest hashes of doc_id, as many as the bounds allow. Sums by the
+    """No query uses this; a test holds it. Rows of the smallest hashes of doc_id, as many as the bounds allow. Sums by the
     hash's leading 16 bits, 65,536 numbers at most, tell where to stop; if already
     the first of them holds too much, the next 16 bits of those rows do."""
     h = F.xxhash64("doc_id")
@@ -356,9 +393,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """Perplexity, threshold and decision for each row of `docs`.
 
     docs: doc_id, text, lang; labels: doc_id, quality. Trusted: documents with a label
-    of quality 1 and none of 0. The model learns from trusted documents whose
-    crc32(doc_id as text) mod 5 is not 1, at most TRUSTED_DOCS and TRUSTED_CHARS of them, whole,
-    by hash of the id; the thresholds come from all the other trusted ones.
+    of quality 1 and none of 0. The model learns from all trusted documents whose
+    crc32(doc_id as text) mod 5 is not 1, whole; the thresholds come from all the other trusted ones.
     Null and empty texts have no perplexity and are not kept. Languages without
     trusted text, null among them, have no perplexity or threshold: nothing speaks
     against their documents, which are kept. Repeated rows and null ids come back as they are;
@@ -366,15 +402,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     Returns doc_id, lang, n_chars, perplexity, threshold, keep.
     """
     good = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("q")).where("q = 1").select("_id")
-    own = docs.select("doc_id", "lang", "text")
-    filled = own.where((F.col("text") != "") & F.col("lang").isNotNull()).withColumn("t", F.xxhash64("text"))
-    # The sample is found without its texts; its keys are few, by the bound, and are broadcast to them.
-    slim = filled.select("doc_id", "t", F.length("text").alias("chars")).where(~held(F.col("doc_id"), 5, 1))
-    keys = _bounded(slim.join(good, F.col("doc_id") == F.col("_id"), "left_semi"))
-    keys = keys.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    sample = filled.join(F.broadcast(keys), (F.col("doc_id") == F.col("_id")) & (F.col("t") == F.col("_t")), "left_semi")
-    grams, contexts = fit(sample)
-    scored = materialize(perplexities(own, grams, contexts))
+    packs = packed(docs.select("doc_id", "lang", "text"))
+    # Trusted are places in packs, so that no text moves to be learned from: few bytes of a pack of 16 million code points.
+    pieces = packs.select("pack", F.posexplode("doc_id").alias("at", "doc_id")).where(~held(F.col("doc_id"), 5, 1))
+    mine = pieces.join(good, F.col("doc_id") == F.col("_id"), "left_semi").groupBy(F.col("pack").alias("_pack")).agg(F.collect_list("at").alias("trusted"))
+    taught = packs.join(F.broadcast(mine), F.col("pack") == F.col("_pack")).select("lang", "size", "body", "trusted")
+    grams, contexts = _fit(taught.mapInArrow(_learned, "lang string, g string, c long"))
+    scored = materialize(_perplexities(packs, grams, contexts))
     fresh = scored.where(held(F.col("doc_id"), 5, 1)).join(good, F.col("doc_id") == F.col("_id"), "left_semi").where("perplexity IS NOT NULL")
     limit = fresh.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
     out = scored.join(F.broadcast(limit), F.col("lang") == F.col("_lang"), "left").drop("_lang")

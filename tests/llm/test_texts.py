@@ -605,6 +605,21 @@ def test_quality_sample_is_bounded(spark, monkeypatch):
         assert 0.8 * most <= n <= most
 
 
+def test_quality_learns_from_all_trusted(spark, monkeypatch):
+    """As many documents and code points as there are, also over the bounds that there were, in several packs and pieces."""
+    for name, n in (("TRUSTED_DOCS", 5), ("TRUSTED_CHARS", 300), ("PACK", 900), ("PIECE", 40)):
+        monkeypatch.setattr(quality, name, n)
+    rows = [(i, f"text {i * i} of house {i % 7} by the river") for i in range(60)]
+    docs = h.documents(spark, [*rows, (3, "once more"), (70, "none of it"), (None, "no id")])
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows] + [(70, 0, 0)], "doc_id long, quality int, toxic int")
+    trusted = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").where(~quality.held(F.col("doc_id"), 5, 1))
+    want = quality.perplexities(docs.select("doc_id", "lang", "text"), *quality.fit(trusted)).collect()
+    got = quality.classify(docs, labels).collect()
+    key = lambda r: (r["doc_id"] or 0, r["n_chars"])
+    assert [key(r) for r in sorted(got, key=key)] == [key(r) for r in sorted(want, key=key)]
+    assert [r["perplexity"] for r in sorted(got, key=key)] == pytest.approx([r["perplexity"] for r in sorted(want, key=key)], rel=1e-6)
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     got = quality.op10(spark, sf).toPandas()
